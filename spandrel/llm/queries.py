@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from spandrel.functions.names import clean_repo, clean_symbol
 from spandrel.llm.capping import cap_per_contributor
 from spandrel.llm.cooccur import co_occurrence
+from spandrel.llm.lookalike import visual_classes, visual_pairs
 from spandrel.llm.topn import top_n_per_group
 from spandrel.operators.latest import latest_per_key
+from spandrel.session import materialize
 from spandrel.sources.tables import table
 
 #: Fixed values of the queries.
@@ -52,7 +54,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per_contributor(rows, "repo", order, "example_id", max_count=REPO_CAP).where(~F.col("kept")).select("example_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found}
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visual_pairs(materialize(_classes(spark, sf_dir), "classes"), "doc_id")
+
+
+def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the canonical member of its class (itself if nothing looks like it)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    found = _classes(spark, sf_dir).select("doc_id", F.col("class_id").alias("found"))
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
