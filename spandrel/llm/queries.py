@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spandrel.functions.names import clean_repo, clean_symbol
 from spandrel.llm.capping import cap_per_contributor
 from spandrel.llm.cooccur import co_occurrence
+from spandrel.llm.leakage import leaked
 from spandrel.llm.lookalike import visual_classes, visual_pairs
 from spandrel.llm.topn import top_n_per_group
 from spandrel.operators.latest import latest_per_key
@@ -69,7 +70,20 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p9_found": p9_found, "p9_canonical": p9_canonical}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per leaked evaluation item the documents that hold it and its longest passage."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
