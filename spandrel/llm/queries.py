@@ -10,6 +10,7 @@ from spandrel.llm.capping import cap_per_contributor
 from spandrel.llm.cooccur import co_occurrence
 from spandrel.llm.leakage import leaked
 from spandrel.llm.lookalike import visual_classes, visual_pairs
+from spandrel.llm.syntax import parse_files
 from spandrel.llm.topn import top_n_per_group
 from spandrel.operators.latest import latest_per_key
 from spandrel.session import materialize
@@ -70,6 +71,26 @@ def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"))
 
 
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its repair cost, the cause and the first line to repair."""
+    return parse_files(table(spark, sf_dir, "documents"), "doc_id", "path", "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_files(spark, sf_dir).where("cost > 0").select("doc_id")
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per repository and language the files, those that don't parse, their share, and what the scanner skipped."""
+    files = p5_files(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "repo")
+    scans = latest_per_key(table(spark, sf_dir, "source_files").where("doc_id is not null"), ["doc_id"], ["scanned_at", "ingested_at"], ["skipped"])
+    joined = docs.join(files, "doc_id").join(scans, "doc_id", "left")
+    broken = F.when(F.col("cost") > 0, 1).otherwise(0)
+    counts = joined.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.sum(broken).alias("broken"), F.count("skipped").alias("skipped"))
+    return counts.withColumn("share", F.round(F.col("broken") / F.col("files"), 4))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -83,7 +104,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
