@@ -10,6 +10,8 @@ from spandrel.llm.capping import cap_per_contributor
 from spandrel.llm.cooccur import co_occurrence
 from spandrel.llm.leakage import leaked
 from spandrel.llm.lookalike import visual_classes, visual_pairs
+from spandrel.llm.origin import file_origins
+from spandrel.llm.packing import pack
 from spandrel.llm.syntax import parse_files
 from spandrel.llm.topn import top_n_per_group
 from spandrel.operators.latest import latest_per_key
@@ -19,6 +21,7 @@ from spandrel.sources.tables import table
 #: Fixed values of the queries.
 PAIR_LEAST, PAIR_SHARE, PAIR_LIFT = 7, (1, 200), 4
 TOP_N, REPO_CAP = 5, 12
+CONTAINER = 4096
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +94,20 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("broken") / F.col("files"), 4))
 
 
+def p6_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with what it is besides hand-written source: tool, minified, third_party, copy or data, else null."""
+    return file_origins(table(spark, sf_dir, "documents"), "doc_id", "path", "text", table(spark, sf_dir, "upstream_files"), "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_files(spark, sf_dir).where("origin is not null").select("doc_id").distinct()
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or each part of one larger than a container, with its container."""
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER)
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -104,7 +121,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"

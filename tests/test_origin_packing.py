@@ -1,0 +1,65 @@
+"""Run with ``python -m pytest tests`` or, where pytest is missing, ``python tests/test_origin_packing.py``."""
+
+import random
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from spandrel.llm import origin, packing  # noqa: E402
+from spandrel.llm.queries import QUERIES  # noqa: E402
+
+
+def test_registered():
+    assert {"p6_found", "p6_files", "p7_packed"} <= set(QUERIES)
+
+
+def test_origins():
+    lent = "// Blue - part of Green\n" + "\n".join(f"func f{k}() {{ return {k} }}" for k in range(30))
+    index = origin.index_of([lent])
+    table = "let t = [\n" + "    0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x08,\n" * 40 + "]\n"
+    small = "let x = 1;\nfunction hello() {\n  return 1;\n}\nconst t = [\n  1, 2, 3,\n];\n"
+    squeezed = "!function(a,b){" + "var c=d(7),e={};function f(g){return g.h?g[1]:c}" * 20 + "}();"
+    cases = {
+        ("A.swift", "// Code generated by x. DO NOT EDIT.\nlet a = 1\n"): "tool",
+        ("A.swift", "// Automatisch erzeugt mit x. Nicht von Hand bearbeiten.\nlet a = 1\n"): "tool",
+        ("A.swift", "// Shows the generated report\nlet a = \"Do not edit\"\n"): None,
+        ("A.swift", "let a = 1\n// Code generated by x. DO NOT EDIT.\n"): None,
+        ("gen/A.pb.swift", "let a = 1\n"): "tool",
+        ("Pods/x/A.swift", "let a = 1\n"): "third_party",
+        ("Features/Vendors/A.swift", "let a = 1\n"): None,
+        ("a.js", squeezed): "minified",
+        ("a.js", small): None,
+        ("A.swift", table): "data",
+        ("A.swift", lent): "copy",
+        ("A.swift", lent.replace("f7()", "g()")): "copy",
+        ("A.swift", lent[:200] + "\nlet own = 2\n" * 60): None,
+    }
+    for (path, text), want in cases.items():
+        assert origin.origin(path, text, index) == want, (path, text[:40], want)
+
+
+def test_containers():
+    random.seed(1)
+    for capacity in (7, 60, 100):
+        for most in (1, 3, 50):
+            counts = {s: random.randint(0, most) for s in range(1, capacity + 1)}
+            held: dict[int, int] = {}
+            seen = {s: set() for s in counts}
+            for size, begin, first, each, n in packing.plan(counts, capacity):
+                for k in range(each * n):
+                    held[first + k // each] = held.get(first + k // each, 0) + size
+                    assert begin + k not in seen[size]
+                    seen[size].add(begin + k)
+            assert all(len(seen[s]) == n and seen[s] == set(range(n)) for s, n in counts.items())
+            assert max(held.values(), default=0) <= capacity and set(held) == set(range(len(held)))
+            assert len(held) <= 1.25 * -(-sum(s * n for s, n in counts.items()) // capacity) + 2
+    # 51 + 27 leaves 22; 26 + 23 instead of 27 fills the container.
+    assert (51, 0, 0, 1, 1) in packing.plan({51: 1, 27: 1, 26: 1, 23: 1}, 100) and (23, 0, 0, 1, 1) in packing.plan({51: 1, 27: 1, 26: 1, 23: 1}, 100)
+
+
+if __name__ == "__main__":
+    for name, f in list(globals().items()):
+        if name.startswith("test_"):
+            f()
+            print("passed", name)
