@@ -23,13 +23,18 @@ SHINGLE, CHANGED = 5, 10
 BLOCK_WORDS = 2_000_000
 
 _ASCII_WORDS, _WORDS = re.compile(r"\w+", re.ASCII), re.compile(r"\w+")
-_CODED = re.compile(r"\\+[uU]\{?([0-9a-fA-F]{4,8})\}?|\\+x([0-9a-fA-F]{2})")
+#: Four digits after \u (two such escapes for a surrogate pair), eight after \U, any number in braces, two after \x.
+_CODED = re.compile(
+    r"\\+[uU]\{([0-9a-fA-F]{1,8})\}|\\+u([dD][89abAB][0-9a-fA-F]{2})\\+u([dD][c-fC-F][0-9a-fA-F]{2})|\\+u([0-9a-fA-F]{4})|\\+U([0-9a-fA-F]{8})|\\+x([0-9a-fA-F]{2})"
+)
 _LAYOUT = re.compile(r"\\+[ntrbfv0]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _decoded(m: re.Match) -> str:
-    code = int(m[1] or m[2], 16)
+    if m[2]:
+        return chr(0x10000 + ((int(m[2], 16) & 0x3FF) << 10) + (int(m[3], 16) & 0x3FF))
+    code = int(m[1] or m[4] or m[5] or m[6], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else " "
 
 
