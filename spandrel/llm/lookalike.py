@@ -100,7 +100,7 @@ def accent_free_key(c: Column) -> Column:
 
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        pdf["form"] = [unicodedata.normalize("NFC", t) for t in pdf["form"]]
+        pdf["form"] = [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in pdf["form"]]
         yield pdf
 
 
@@ -109,32 +109,46 @@ def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Two texts look the same when they are equal after width forms, composed or separate accents, characters without
     room, kinds of single blanks and look-alike letters are disregarded. class_id is the least key of the class, its
-    canonical member; text_id tells different texts of a class apart and is equal for exact copies. Only classes with
-    at least two different texts come out. Null and blank texts and null keys are left out. An empty table gives no rows.
-
-    Method: a 64-bit key of the accent-free form finds the few texts that can have a twin; only these move. Their
-    consistent forms are grouped in SQL under the accent-sensitive UNICODE collation, the least key of each class is
-    taken as its canonical member, and the class is joined back to all copies. Text and keys of the rest never move.
+    canonical member; text_id tells different texts of a class apart and is equal for exact copies. Classes of at least
+    two documents come out, also those of exact copies alone. Null and blank texts and null keys are left out. An empty
+    table gives no rows.
+
+    Method: one count and least key per different text are taken first, so that many copies of a text weigh as one. A
+    64-bit key of the accent-free form finds the few texts that can have a twin; only these move. Their consistent forms
+    are grouped in SQL under the accent-sensitive UNICODE collation, the least key of each class is taken as its canonical
+    member, and the class is joined back to all copies. Of the other texts only keys move.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     form = consistent_form(F.col("text"))
     keyed = docs.where(F.btrim(F.col("text"), F.lit(" \t\n\r\v\f" + BLANKS)) != "").select("key", accent_free_key(form).alias("loose"), F.xxhash64("text").alias("text_id"))
     keyed = materialize(keyed, "loose")
-    open_keys = keyed.groupBy("loose").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("loose")
-    members = materialize(keyed.join(open_keys, "loose", "left_semi"), "open")
-    firsts = members.groupBy("loose", "text_id").agg(F.min("key").alias("key"))
-    texts = docs.join(firsts.select("key", "loose", "text_id"), "key").select("loose", "text_id", "key", form.alias("form"))
-    texts = texts.where(F.btrim("form", F.lit(" \t\n\r\v\f\x85  ")) != "")
+    copies = materialize(keyed.groupBy("loose", "text_id").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
+    open_keys = copies.groupBy("loose").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("loose")
+    firsts = materialize(copies.join(open_keys, "loose", "left_semi"), "open")
+    texts = docs.join(firsts.withColumnRenamed("first", "key"), "key").select("loose", "text_id", "key", "n", form.alias("form"))
     # The composed form of the few candidates, so that the collation's finer equalities can be checked for equality.
-    texts = texts.mapInPandas(_exact, texts.schema).withColumn("collated", F.collate("form", "UNICODE"))
+    # The filter comes after it, else it would be pushed below the join and every text would be walked through again.
+    texts = texts.mapInPandas(_exact, texts.schema).where(F.btrim("form", F.lit(" \t\n\r\v\f\x85\u2028\u2029")) != "").withColumn("collated", F.collate("form", "UNICODE"))
     grouped = texts.groupBy("loose", "collated", F.xxhash64("form").alias("exact"))
-    classes = grouped.agg(F.min("key").alias("class_id"), F.collect_set("text_id").alias("text_ids")).where(F.size("text_ids") > 1)
-    exploded = classes.select("loose", "class_id", F.explode("text_ids").alias("text_id"))
-    return members.join(exploded, ["loose", "text_id"]).select(F.col("key").alias(key), "text_id", "class_id")
+    classes = grouped.agg(F.min("key").alias("class_id"), F.collect_set("text_id").alias("text_ids"), F.sum("n").alias("docs")).where("docs > 1")
+    alike = classes.select("loose", F.explode("text_ids").alias("text_id"), "class_id")
+    same = copies.where("n > 1").join(open_keys, "loose", "left_anti").select("loose", "text_id", F.col("first").alias("class_id"))
+    found = materialize(alike.unionByName(same), "alike")
+    return keyed.join(found, ["loose", "text_id"]).select(F.col("key").alias(key), "text_id", "class_id")
+
+
+def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, form string): the one consistent form of each text, equal for all texts of a visual class; null stays null."""
+    rows = df.select(F.col(key), consistent_form(F.col(text)).alias("form"))
+    return rows.mapInPandas(_exact, rows.schema)
 
 
 def visual_pairs(classes: DataFrame, key: str) -> DataFrame:
     """Pairs (key_a, key_b), a < b, of one class whose texts differ. Exact copies of one text form no pair."""
-    a, b = classes.alias("a"), classes.alias("b")
-    on = (F.col("a.class_id") == F.col("b.class_id")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.text_id") != F.col("b.text_id"))
-    return a.join(b, on).select(F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"))
+    texts = classes.select("class_id", "text_id").distinct()
+    other = texts.select("class_id", F.col("text_id").alias("other"))
+    # Different texts are paired before their copies, so that a text with many copies never meets itself.
+    differ = texts.join(other, "class_id").where("text_id <> other")
+    a = classes.join(differ, ["class_id", "text_id"]).select("class_id", F.col("other").alias("text_id"), F.col(key).alias(f"{key}_a"))
+    b = classes.select("class_id", "text_id", F.col(key).alias(f"{key}_b"))
+    return a.join(b, ["class_id", "text_id"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")

@@ -9,7 +9,7 @@ from spandrel.functions.names import clean_repo, clean_symbol
 from spandrel.llm.capping import cap_per_contributor
 from spandrel.llm.cooccur import co_occurrence
 from spandrel.llm.leakage import leaked
-from spandrel.llm.lookalike import visual_classes, visual_pairs
+from spandrel.llm.lookalike import consistent_texts, visual_classes, visual_pairs
 from spandrel.llm.origin import file_origins
 from spandrel.llm.packing import pack
 from spandrel.llm.syntax import parse_files
@@ -68,10 +68,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the canonical member of its class (itself if nothing looks like it)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
+    """Every document with the canonical member of its class (itself if nothing looks like it) and its consistent form."""
+    docs = consistent_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = _classes(spark, sf_dir).select("doc_id", F.col("class_id").alias("found"))
-    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"))
+    return docs.join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"), "form")
 
 
 def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
