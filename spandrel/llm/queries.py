@@ -24,9 +24,12 @@ TOP_N, REPO_CAP = 5, 12
 CONTAINER = 4096
 
 
+def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "occurrences").select("doc_id", clean_symbol("sym").alias("sym"))
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    uses = table(spark, sf_dir, "occurrences").select("doc_id", clean_symbol("sym").alias("sym"))
-    return co_occurrence(uses, "doc_id", "sym", PAIR_LEAST, PAIR_SHARE)
+    return co_occurrence(_uses(spark, sf_dir), "doc_id", "sym", PAIR_LEAST, PAIR_SHARE)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +37,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).where(far).select(F.col("item_a").alias("sym_a"), F.col("item_b").alias("sym_b"))
 
 
-def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All supported pairs with their counts and measures."""
-    return _pairs(spark, sf_dir).select(
+def _measured(pairs: DataFrame) -> DataFrame:
+    return pairs.select(
         F.col("item_a").alias("sym_a"), F.col("item_b").alias("sym_b"), "c", "f_a", "f_b", "n_baskets",
         F.round("lift", 4).alias("lift"), F.round("odds_ratio", 3).alias("odds_ratio"),
     )
 
 
+def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs with the support of p1_found, as its SQL has them, with their counts and measures."""
+    return _measured(_pairs(spark, sf_dir))
+
+
+def p1_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair that a file uses, however rare, with its counts and measures."""
+    return _measured(co_occurrence(_uses(spark, sf_dir), "doc_id", "sym"))
+
+
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "examples").where("example_id is not null")
     one = latest_per_key(rows, ["example_id"], ["captured_at"], ["sym", "repo", "stars", "score"])
@@ -121,7 +133,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_all_pairs": p1_all_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
@@ -142,7 +154,18 @@ _SQL_EXAMPLES = f"""
     e as (select example_id, {_SYM} as sym, {_REPO} as repo, stars, score from l where rn = 1)
 """
 
+_SQL_ALL_PAIRS = f"""
+    with b as (select distinct doc_id, {_SYM} as sym from occurrences where sym is not null and doc_id is not null),
+    n as (select count(distinct doc_id) as n_baskets from b),
+    f as (select sym, count(*) as f from b group by sym),
+    c as (select x.sym as sym_a, y.sym as sym_b, count(*) as c from b x join b y on x.doc_id = y.doc_id and x.sym < y.sym group by all)
+    select sym_a, sym_b, c, fa.f as f_a, fb.f as f_b, n_baskets, round(c::double * n_baskets / (fa.f::double * fb.f), 4) as lift,
+           round((c + 0.5::double) * (n_baskets - fa.f - fb.f + c + 0.5::double) / ((fa.f - c + 0.5::double) * (fb.f - c + 0.5::double)), 3) as odds_ratio
+    from c join f fa on fa.sym = sym_a join f fb on fb.sym = sym_b, n
+"""
+
 SQL = {
+    "p1_all_pairs": _SQL_ALL_PAIRS,
     "p1_found": _SQL_PAIRS + f"select sym_a, sym_b from p where c * n_baskets >= {PAIR_LIFT} * f_a * f_b",
     "p1_pairs": _SQL_PAIRS
     + """select sym_a, sym_b, c, f_a, f_b, n_baskets, round(c::double * n_baskets / (f_a::double * f_b), 4) as lift,

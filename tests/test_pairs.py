@@ -1,0 +1,29 @@
+"""Run with ``python -m pytest tests`` or, where pytest is missing, ``python tests/test_pairs.py``."""
+
+import sys
+import tempfile
+from collections import Counter
+from itertools import combinations
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from spandrel.llm import queries  # noqa: E402
+from spandrel.session import build_session  # noqa: E402
+
+
+def test_rare_pairs_come_out():
+    spark = build_session("local[2]", shuffle=2, memory="2g")
+    files = {k: ["a", "b"] for k in range(300)} | {300: ["a", "rare", "rarer"], 301: ["rare", "rarer"], 302: ["lone"]}
+    rows = [(k, s) for k, syms in files.items() for s in syms] + [(300, None)]
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame(rows, "doc_id bigint, sym string").write.parquet(f"{d}/occurrences.parquet")
+        got = {(r.sym_a, r.sym_b): (r.c, r.f_a, r.f_b, r.n_baskets) for r in queries.QUERIES["p1_all_pairs"](spark, d).collect()}
+    f = Counter(s for syms in files.values() for s in syms)
+    c = Counter(p for syms in files.values() for p in combinations(sorted(syms), 2))
+    assert got == {(a, b): (n, f[a], f[b], 303) for (a, b), n in c.items()}, got
+
+
+if __name__ == "__main__":
+    test_rare_pairs_come_out()
+    print("passed")
