@@ -25,10 +25,10 @@ def clean_repo(c: Column | str) -> Column:
 
 
 def link_repo(c: Column | str) -> Column:
-    """Repository name out of a link's path: cut at # and ?, drop a final .git and punctuation at the end."""
+    """Repository name out of a link's path: cut at # and ?, drop a final .git, then punctuation at the end."""
     s = F.regexp_replace(F.btrim(_col(c), F.lit(BLANKS)), r"[#?].*$", "")
     s = F.regexp_replace(s, r"\.git$", "")
-    return F.regexp_replace(s, r"[).,;:/]+$", "")
+    return F.regexp_replace(s, r"[).,;:*\"'`]+$", "")
 
 
 def base_name(c: Column | str) -> Column:
@@ -102,15 +102,19 @@ def is_poor_snippet(c: Column | str) -> Column:
     return (s == "") | (F.length(s) < 12) | F.right(s, F.lit(1)).isin("(", "{", ",")
 
 
-#: Suffix of the declaring type -> category of a style value; others are "other".
-STYLE_SUFFIXES = ["ButtonStyle", "ToggleStyle", "PickerStyle", "ListStyle", "LabelStyle", "MenuStyle", "FormStyle", "TableStyle", "TextFieldStyle", "GaugeStyle", "WindowStyle"]
-
-
 def style_category(parent: Column | str) -> Column:
-    out = F.lit("other")
-    for s in reversed(STYLE_SUFFIXES):
-        out = F.when(_col(parent).endswith(s), F.lit(s[0].lower() + s[1:])).otherwise(out)
-    return out
+    """Coarse category of a style value by the name of the type that declares it (fixed names)."""
+    p = _col(parent)
+    return (
+        F.when(p.endswith("Style"), "controlStyle")
+        .when(p == "Color", "color")
+        .when(p == "Material", "material")
+        .when(p.endswith("Alignment") | p.isin("UnitPoint", "Edge", "Axis"), "alignment")
+        .when(p == "Edge.Set", "edge")
+        .when(p.endswith("Placement"), "placement")
+        .when(p.isin("Visibility", "Prominence", "ControlSize", "ContentMode"), "appearance")
+        .otherwise("other")
+    )
 
 
 def doc_url(dim: Column | str, sym: Column | str, root: str = "https://docs.invalid/swiftui") -> Column:

@@ -122,10 +122,10 @@ def usage_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_value_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Style values with the category of the style they belong to by name, else other."""
+    """Style values with their category by the type in which they are used first by name, else other."""
     known = table(spark, sf_dir, "symbol_catalog").where("dim = 'styleValues' and sym is not null").select("sym").distinct()
     parents = base.matched(spark, sf_dir, "scope").where("dim = 'styleValues' and scope is not null").groupBy("sym").agg(F.min("scope").alias("scope"))
-    return known.join(parents, "sym", "left").select("sym", F.coalesce(style_category("scope"), F.lit("other")).alias("category"))
+    return known.join(parents, "sym", "left").select("sym", style_category("scope").alias("category"))
 
 
 # ---- Co-occurrence per repository
@@ -228,9 +228,9 @@ SQL = {
         select u.sym, uses, introduced, deprecated, renamed from (select sym, count(*) as uses from matched group by sym) u left join avail on avail.sym = u.sym""",
     "style_value_categories": f"""{_U},
         p as (select sym, min(scope) as scope from matched where dim = 'styleValues' and scope is not null group by sym)
-        select k.sym, coalesce(case when regexp_matches(scope, '(Button|Toggle|Picker|List|Label|Menu|Form|Table|TextField|Gauge|Window)Style$')
-               then lower(regexp_extract(scope, '(Button|Toggle|Picker|List|Label|Menu|Form|Table|TextField|Gauge|Window)Style$', 1)[1])
-                    || regexp_extract(scope, '(Button|Toggle|Picker|List|Label|Menu|Form|Table|TextField|Gauge|Window)Style$', 0)[2:] end, 'other') as category
+        select k.sym, case when scope like '%Style' then 'controlStyle' when scope = 'Color' then 'color' when scope = 'Material' then 'material'
+               when scope like '%Alignment' or scope in ('UnitPoint', 'Edge', 'Axis') then 'alignment' when scope = 'Edge.Set' then 'edge' when scope like '%Placement' then 'placement'
+               when scope in ('Visibility', 'Prominence', 'ControlSize', 'ContentMode') then 'appearance' else 'other' end as category
         from (select distinct sym from symbol_catalog where dim = 'styleValues' and sym is not null) k left join p on p.sym = k.sym""",
     "symbol_frequency": f"{_SYMS} select sym, repos, n_repos, ubiquitous from fq",
     "cooccurrence_lift": f"""{_SYMS},
