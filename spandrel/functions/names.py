@@ -118,9 +118,9 @@ def style_category(parent: Column | str) -> Column:
 
 
 def doc_url(dim: Column | str, sym: Column | str, root: str = "https://docs.invalid/swiftui") -> Column:
-    """Address of a symbol's page: value builders and modifiers hang under the view type, the rest stand alone."""
-    low = F.lower(_col(sym))
-    return F.when(_col(dim).isin("modifiers", "valueBuilders"), F.concat(F.lit(f"{root}/view/"), low)).otherwise(F.concat(F.lit(f"{root}/"), low))
+    """Address of a symbol's page: modifiers and style values under the view type, environment keys under their values."""
+    folder = F.when(_col(dim).isin("types", "valueBuilders", "macros", "propertyWrappers"), "/").when(_col(dim) == "environmentKeys", "/environmentvalues/").otherwise("/view/")
+    return F.concat(F.lit(root), folder, F.lower(_col(sym)))
 
 
 def tokens(c: Column | str, least: int) -> Column:

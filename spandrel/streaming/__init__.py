@@ -1 +1 @@
-"""Structured Streaming operators."""
+"""Stateless queries over streams of events."""
