@@ -1,4 +1,4 @@
-"""Session factory and the shared folder of a session."""
+"""Session factory, the shared folder of a session, and the intermediate tables in it."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Intermediate tables of this driver, by application.
+_TABLES: dict[str, list[str]] = {}
 
 
 def build_session(master: str = "local[*]", app: str = "spandrel", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,12 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[sc.applicationId]
 
 
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write df as a table into the shared folder and read it back.
 
-    A lost executor then costs a re-read, not a recomputation, and a plan that uses df twice runs it once.
+    A lost executor then costs a re-read, not a recomputation, and a plan that uses df twice runs it once. The table
+    stays until ``release``, as results that are computed later may read it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = table_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application so far; call it once the results that read them are written."""
+    sc = spark.sparkContext
+    paths = _TABLES.pop(sc.applicationId, [])
+    for path in paths:
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
