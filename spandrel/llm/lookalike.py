@@ -7,7 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.session import materialize
@@ -82,7 +82,7 @@ def consistent_form(c: Column) -> Column:
 def _base_map() -> dict[str, str]:
     """Accented character -> its base; accents, Hangul and characters without room -> nothing."""
     out: dict[str, str] = {}
-    for code in [*range(0x80, 0xAC00), *range(0xF900, 0xFB00), *range(0x1D000, 0x1D200), *range(0x2F800, 0x2FA20)]:
+    for code in [*range(0x80, 0xAC00), *range(0xF900, 0xFB50), *range(0xFE20, 0xFE30), *range(0x10000, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0100, 0xE01F0)]:
         ch = chr(code)
         base = unicodedata.normalize("NFD", ch)[0]
         if unicodedata.combining(ch) or unicodedata.category(ch) in ("Mn", "Mc", "Me") or "ᄀ" <= ch <= "ᇿ":
@@ -104,6 +104,62 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
+_CONFLATED: dict[str, dict[int, str]] = {}
+
+
+def conflated(spark: SparkSession) -> dict[int, str]:
+    """Character -> those of its parts that the collation holds equal to another character that doesn't look like it.
+
+    The UNICODE collation is asked itself, over all assigned characters, once per application: digits of all scripts
+    are one to it, so are styled letters and rarely used marks. Canonically equal characters don't count.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _CONFLATED:
+        codes = [c for c in [*range(1, 0x32000), *range(0xE0000, 0xE01F0)] if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+        one = spark.range(max(codes) + 1).select(F.col("id").cast("int").alias("c"))
+        known = spark.createDataFrame(pd.DataFrame({"c": codes, "s": ["a" + chr(c) + "b" for c in codes]}), "c int, s string")
+        groups = one.join(known, "c").groupBy(F.collate("s", "UNICODE")).agg(F.collect_list("c").alias("cs")).where("size(cs) > 1").select("cs").collect()
+        # Characters that vanish from every form can't tell texts apart.
+        gone = {ch for ch, form in char_maps()[0].items() if not form}
+        risky: set[str] = set()
+        for (cs,) in groups:
+            left = [chr(c) for c in cs if chr(c) not in gone]
+            if len({unicodedata.normalize("NFC", x) for x in left}) > 1:
+                risky.update(left)
+        # One that is equal to nothing at all only shows beside the pair without it.
+        nothing = {r.c for r in known.where(F.collate("s", "UNICODE") == F.collate(F.lit("ab"), "UNICODE")).select("c").collect()}
+        risky.update(x for x in map(chr, nothing) if x not in gone)
+        out = {}
+        for c in codes:
+            part = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if x in risky)
+            if part or chr(c) in risky:
+                out[c] = part or chr(c)
+        _CONFLATED[app] = out
+    return _CONFLATED[app]
+
+
+def ordered(text: str) -> str:
+    """The text with separate accents in canonical order, where they aren't; what is in order stays as it is written.
+
+    The collation holds composed and separate accents equal, but takes accents in the order in which they come.
+    """
+    if text.isascii():
+        return text
+    out, at = [], 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and unicodedata.combining(text[end]):
+            end += 1
+        part = text[at:end]
+        if end - at > 1:
+            apart = "".join(unicodedata.normalize("NFD", x) for x in part)
+            if (sorted_part := unicodedata.normalize("NFD", part)) != apart:
+                part = sorted_part
+        out.append(part)
+        at = end
+    return "".join(out)
+
+
 def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Documents that look like another document: (key, text_id bigint, class_id).
 
@@ -114,10 +170,12 @@ def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     table gives no rows.
 
     Method: one count and least key per different text are taken first, so that many copies of a text weigh as one. A
-    64-bit key of the accent-free form finds the few texts that can have a twin; only these move. Their consistent forms
-    are grouped in SQL under the accent-sensitive UNICODE collation, the least key of each class is taken as its canonical
-    member, and the class is joined back to all copies. Of the other texts only keys move.
+    64-bit key of the accent-free form finds the few texts that can have a twin; only these move. Their look-alike-mapped
+    forms, accents in canonical order, are grouped in SQL under the accent-sensitive UNICODE collation, which decides
+    what is equal; an exact check then compares only the characters that the collation is known to conflate. The least key of each class is its
+    canonical member, and the class is joined back to all copies. Of the other texts only keys move.
     """
+    spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     form = consistent_form(F.col("text"))
     keyed = docs.where(F.btrim(F.col("text"), F.lit(" \t\n\r\v\f" + BLANKS)) != "").select("key", accent_free_key(form).alias("loose"), F.xxhash64("text").alias("text_id"))
@@ -125,11 +183,17 @@ def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     copies = materialize(keyed.groupBy("loose", "text_id").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
     open_keys = copies.groupBy("loose").agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select("loose")
     firsts = materialize(copies.join(open_keys, "loose", "left_semi"), "open")
-    texts = docs.join(firsts.withColumnRenamed("first", "key"), "key").select("loose", "text_id", "key", "n", form.alias("form"))
-    # The composed form of the few candidates, so that the collation's finer equalities can be checked for equality.
-    # The filter comes after it, else it would be pushed below the join and every text would be walked through again.
-    texts = texts.mapInPandas(_exact, texts.schema).where(F.btrim("form", F.lit(" \t\n\r\v\f\x85\u2028\u2029")) != "").withColumn("collated", F.collate("form", "UNICODE"))
-    grouped = texts.groupBy("loose", "collated", F.xxhash64("form").alias("exact"))
+    # Only keys meet first; the few texts are written before their forms are taken, so that no other text is walked again.
+    texts = materialize(docs.join(firsts.withColumnRenamed("first", "key"), "key").select("loose", "text_id", "key", "n", "text"), "candidates")
+    parts = conflated(spark)
+
+    @F.pandas_udf("form string, residue string")
+    def prepared(forms: pd.Series) -> pd.DataFrame:
+        shown = [ordered(t) for t in forms]
+        return pd.DataFrame({"form": shown, "residue": ["" if t.isascii() else "".join(parts.get(ord(x), "") for x in t) for t in shown]})
+
+    shown = texts.select("loose", "text_id", "key", "n", prepared(form).alias("p")).select("loose", "text_id", "key", "n", "p.form", "p.residue").where(F.btrim("form", F.lit(" \t\n\r\v\f\x85\u2028\u2029")) != "")
+    grouped = shown.withColumn("collated", F.collate("form", "UNICODE")).groupBy("loose", "collated", "residue")
     classes = grouped.agg(F.min("key").alias("class_id"), F.collect_set("text_id").alias("text_ids"), F.sum("n").alias("docs")).where("docs > 1")
     alike = classes.select("loose", F.explode("text_ids").alias("text_id"), "class_id")
     same = copies.where("n > 1").join(open_keys, "loose", "left_anti").select("loose", "text_id", F.col("first").alias("class_id"))
@@ -138,7 +202,7 @@ def visual_classes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, form string): the one consistent form of each text, equal for all texts of a visual class; null stays null."""
+    """(key, form string): the one consistent form of each text, composed, equal for all texts of a visual class; null stays null."""
     rows = df.select(F.col(key), consistent_form(F.col(text)).alias("form"))
     return rows.mapInPandas(_exact, rows.schema)
 

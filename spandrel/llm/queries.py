@@ -20,7 +20,7 @@ from spandrel.sources.tables import table
 
 #: Fixed values of the queries.
 PAIR_LEAST, PAIR_SHARE, PAIR_LIFT = 7, (1, 200), 4
-TOP_N, REPO_CAP = 5, 12
+TOP_N, REPO_CAP, REPO_SHARE = 5, 12, 0.02
 CONTAINER = 4096
 
 
@@ -71,6 +71,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per_contributor(rows, "repo", order, "example_id", max_count=REPO_CAP).where(~F.col("kept")).select("example_id")
 
 
+def p3_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per clean repo the examples that are kept and removed when none may have more than a fiftieth of all."""
+    order = [F.desc_nulls_last("score"), F.desc_nulls_last("stars"), F.asc("example_id")]
+    rows = _examples(spark, sf_dir).where(F.col("repo").isNotNull())
+    capped = cap_per_contributor(rows, "repo", order, "example_id", max_share=REPO_SHARE)
+    return capped.groupBy("repo").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("removed"), F.min(F.when(F.col("kept"), F.col("score"))).alias("least_kept"))
+
+
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -133,7 +141,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_all_pairs": p1_all_pairs, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_all_pairs": p1_all_pairs, "p2_found": p2_found, "p3_found": p3_found, "p3_by_share": p3_by_share, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
@@ -177,4 +185,8 @@ SQL = {
     "p3_found": _SQL_EXAMPLES
     + f"""select example_id from (select *, row_number() over (partition by repo order by score desc nulls last, stars desc nulls last, example_id) as k
           from e where repo is not null) where k > {REPO_CAP}""",
+    "p3_by_share": _SQL_EXAMPLES
+    + f""", k as (select *, row_number() over (partition by repo order by score desc nulls last, stars desc nulls last, example_id) as k, count(*) over () as n from e where repo is not null),
+          j as (select *, k <= greatest(1, floor({REPO_SHARE}::double * n)) as kept from k)
+          select repo, count(*) filter (kept) as kept, count(*) filter (not kept) as removed, min(case when kept then score end) as least_kept from j group by repo""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spandrel.session import shared_dir
+from spandrel.session import table_path
 
 #: Bytes of one row group of the clustered files: small enough that a hot group spans many of them.
 ROW_GROUP_BYTES = 1 << 20
@@ -45,8 +44,10 @@ def _plan(meta: pq.FileMetaData) -> list[tuple[float | None, str | None, int]]:
 def _scan(paths: Iterator[pa.RecordBatch], n: int, schema: pa.Schema, read: list[int] | None = None) -> Iterator[pa.RecordBatch]:
     """Candidates of each file: per group its first n rows and all that tie with the n-th score.
 
-    The rows of a file are sorted by __g and descending __s. A row group is read only while its greatest score reaches
-    the current n-th score of the groups in it. ``read`` gets the numbers of the row groups that were read.
+    The rows of a file are sorted by __g and descending __s. A row group is skipped if its greatest score lies strictly
+    below the current n-th score of every group in it. One with several groups holds the head of all but the first of
+    them, rows that no other row group has seen, so only those of a single group can ever be skipped; a group of
+    millions has mostly these. ``read`` gets the numbers of the row groups that were read.
     """
     for batch in paths:
         for path in batch.column(0).to_pylist():
@@ -82,7 +83,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ties: list[str], n: i
     Returns the input's columns and ``rank`` (1..n). ``group`` is a string column; rows with a null group don't come
     out; a group of fewer than n rows comes out whole. Repeated rows count as often as they come and share no rank
     (their order among themselves doesn't show). An empty table gives no rows. The result is the same on every run if
-    ``ties`` ends in a unique column.
+    ``ties`` ends in a unique column. A NaN score is greater than any number.
 
     Method: the rows are clustered by (group, score descending) into range-partitioned files of small row groups, so a
     group of millions spreads over many files. Each file's row groups are read in descending greatest score; one that
@@ -92,9 +93,12 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ties: list[str], n: i
     spark = df.sparkSession
     if {"__g", "__s", "rank"} & set(df.columns):
         raise ValueError("__g, __s and rank are reserved")
-    low = F.lit(float("-inf"))
-    keyed = df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), F.coalesce(F.col(score).cast("double"), low).alias("__s"), *df.columns)
-    path = f"{shared_dir(spark)}/clustered/{uuid.uuid4().hex}"
+    # A total order without NaN, whose comparisons are all false: NaN is greatest, as Spark sorts it, null least. What the
+    # double can't tell apart ties here and is told apart by the last rank.
+    number = F.col(score).cast("double")
+    total = F.when(number.isNull(), F.lit(float("-inf"))).when(F.isnan(number), F.lit(float("inf"))).otherwise(number)
+    keyed = df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), total.alias("__s"), *df.columns)
+    path = table_path(spark, "clustered")
     (keyed.repartitionByRange("__g", F.desc("__s")).sortWithinPartitions("__g", F.desc("__s")).write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", row_group_bytes // 8).parquet(path))
     clustered = spark.read.schema(keyed.schema).parquet(path)
     files = clustered.inputFiles()
