@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spandrel.operators.ranks import global_rank
+from spandrel.session import materialize
 
 #: Pieces of less than 1 / SMALL of a container are packed last.
 SMALL = 6
@@ -106,21 +108,46 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def pack(df: DataFrame, key: str, text: str, capacity: int) -> DataFrame:
+#: Fixed value: the pattern that splits a text before the merges of the rank files.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def token_counts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
+    """(key, n bigint): tokens of each text by a public byte-level BPE, whose rank file is read on the driver.
+
+    The file, one line per token, is a vocabulary of fixed size (under 1 MB) and goes to every task. Strings of special
+    tokens in a text are ordinary text. An empty text has no tokens. Rows with a null key or text are left out.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(encode(t)) for t in b.column(1).to_pylist()], pa.int64())], ["key", "n"])
+
+    return rows.mapInArrow(counted, f"key {rows.schema['key'].dataType.simpleString()}, n bigint")
+
+
+def pack(df: DataFrame, key: str, text: str, capacity: int, vocabulary: str) -> DataFrame:
     """(key, part int, start bigint, tokens int, container bigint): each text, or part of one, with its container.
 
-    Tokens are those of ByT5's public tokenizer: one per byte of UTF-8 and one at the end, so it needs no vocabulary
-    file. Only a text of more than ``capacity`` tokens is split, into full parts and a rest; start is the first token of
-    a part. The parts of a container have at most ``capacity`` tokens together. Rows with a null key or text are left
-    out; keys should be unique, as the order of equal keys isn't defined. An empty table gives no rows.
+    Sizes are tokens of the public tokenizer whose rank file is ``vocabulary``. Only a text of more than ``capacity``
+    tokens is split, into full parts and a rest; start is the first token of a part. The parts of a container have at
+    most ``capacity`` tokens together. A text without tokens takes no room and is in container 0. Rows with a null key
+    or text are left out; keys should be unique, as the order of equal keys isn't defined. An empty table gives no rows.
 
     Method: only keys and sizes move. One count per size comes to the driver, which plans the containers of all items
     of a size as runs; each item finds its container by its rank among the items of its size.
     """
-    sized = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), (F.octet_length(text) + 1).cast("bigint").alias("n"))
-    parts = sized.select("key", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {capacity}"))).alias("part"))
+    sized = materialize(token_counts(df, key, text, vocabulary), "sizes")
+    last = F.expr(f"greatest(n - 1, 0) div {capacity}")
+    parts = sized.select("key", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
     items = parts.select("key", F.col("part").cast("int").alias("part"), (F.col("part") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("tokens"))
-    counts = {r[0]: r[1] for r in items.groupBy("tokens").count().collect()}  # one row per size, at most ``capacity``
+    counts = {r[0]: r[1] for r in items.where("tokens > 0").groupBy("tokens").count().collect()}  # one row per size, at most ``capacity``
     runs = sorted(plan(counts, capacity))
     begins = np.array([s << 40 | at for s, at, *_ in runs], dtype=np.int64)
     ranks, firsts, each = (np.array([r[k] for r in runs], dtype=np.int64) for k in (1, 2, 3))
@@ -132,6 +159,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int) -> DataFrame:
                 at = np.searchsorted(begins, (b.column(3).to_numpy().astype(np.int64) << 40) | rank, side="right") - 1
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(firsts[at] + (rank - ranks[at]) // each[at])], ["key", "part", "start", "tokens", "container"])
 
-    ranked = global_rank(items, ["tokens"], [F.col("key"), F.col("part")]).select("key", "part", "start", "tokens", F.col("rank").cast("bigint").alias("rank"))
     kind = items.schema["key"].dataType.simpleString()
-    return ranked.mapInArrow(assigned, f"key {kind}, part int, start bigint, tokens int, container bigint").withColumnRenamed("key", key)
+    ranked = global_rank(items.where("tokens > 0"), ["tokens"], [F.col("key"), F.col("part")]).select("key", "part", "start", "tokens", F.col("rank").cast("bigint").alias("rank"))
+    packed = ranked.mapInArrow(assigned, f"key {kind}, part int, start bigint, tokens int, container bigint")
+    return packed.unionByName(items.where("tokens = 0").withColumn("container", F.lit(0).cast("bigint"))).withColumnRenamed("key", key)

@@ -22,6 +22,8 @@ from spandrel.sources.tables import table
 PAIR_LEAST, PAIR_SHARE, PAIR_LIFT = 7, (1, 200), 4
 TOP_N, REPO_CAP, REPO_SHARE = 5, 12, 0.02
 CONTAINER = 4096
+#: Rank file of a public tokenizer; its place is a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +127,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, or each part of one larger than a container, with its container."""
-    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER)
+    return pack(table(spark, sf_dir, "documents"), "doc_id", "text", CONTAINER, VOCABULARY)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and parts, tokens in them, and the share of their room that is filled."""
+    per = p7_packed(spark, sf_dir).groupBy("container").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("tokens"))
+    out = per.agg(F.count(F.lit(1)).alias("containers"), F.sum("parts").alias("parts"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    return out.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * CONTAINER), 6))
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +150,7 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_all_pairs": p1_all_pairs, "p2_found": p2_found, "p3_found": p3_found, "p3_by_share": p3_by_share, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_all_pairs": p1_all_pairs, "p2_found": p2_found, "p3_found": p3_found, "p3_by_share": p3_by_share, "p5_found": p5_found, "p5_files": p5_files, "p5_rates": p5_rates, "p6_found": p6_found, "p6_files": p6_files, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_canonical": p9_canonical}
 
 _SYM = r"trim(split_part(regexp_replace(trim(sym, E' \t\n\r'), '^[.@]', ''), '(', 1), E' \t\n\r')"
 _REPO = r"regexp_replace(lower(trim(repo, E' \t\n\r')), '\.git$', '')"
