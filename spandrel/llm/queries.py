@@ -12,7 +12,7 @@ from spandrel.llm.leakage import leaked
 from spandrel.llm.lookalike import consistent_texts, visual_classes, visual_pairs
 from spandrel.llm.origin import file_origins
 from spandrel.llm.packing import pack
-from spandrel.llm.syntax import parse_files
+from spandrel.llm.syntax import broken_files, parse_files
 from spandrel.llm.topn import top_n_per_group
 from spandrel.operators.latest import latest_per_key
 from spandrel.session import materialize
@@ -102,16 +102,15 @@ def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_files(spark, sf_dir).where("cost > 0").select("doc_id")
+    return broken_files(table(spark, sf_dir, "documents"), "doc_id", "path", "text").where("broken").select("doc_id").distinct()
 
 
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repository and language the files, those that don't parse, their share, and what the scanner skipped."""
-    files = p5_files(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "repo")
+    files = broken_files(table(spark, sf_dir, "documents"), "doc_id", "path", "text", ("repo",))
     scans = latest_per_key(table(spark, sf_dir, "source_files").where("doc_id is not null"), ["doc_id"], ["scanned_at", "ingested_at"], ["skipped"])
-    joined = docs.join(files, "doc_id").join(scans, "doc_id", "left")
-    broken = F.when(F.col("cost") > 0, 1).otherwise(0)
+    joined = files.join(scans, "doc_id", "left")
+    broken = F.when(F.col("broken"), 1).otherwise(0)
     counts = joined.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("files"), F.sum(broken).alias("broken"), F.count("skipped").alias("skipped"))
     return counts.withColumn("share", F.round(F.col("broken") / F.col("files"), 4))
 
