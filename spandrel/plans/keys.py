@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.functions.names import clean_symbol
-from spandrel.operators.latest import latest_per_key
 from spandrel.operators.tree_agg import tree_aggregate
+from spandrel.plans.base import occurrences
 from spandrel.session import materialize
-from spandrel.sources.tables import table
 
 
-def _uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per occ_id with its clean symbol; the last delivery counts."""
-    rows = table(spark, sf_dir, "occurrences").where("sym is not null and occ_id is not null")
-    one = latest_per_key(rows, ["occ_id"], ["ingested_at"], ["sym", "kind", "line", "scanned_at"])
-    return materialize(one.withColumn("sym", clean_symbol("sym")), "uses")
+def _uses(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """One row per occ_id with its clean symbol, kind and the named columns; the last delivery counts."""
+    return materialize(occurrences(spark, sf_dir, "kind", *columns).drop("occ_id"), "uses")
 
 
 def p4_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses, last line and first and last scan of every (sym, kind)."""
-    uses = _uses(spark, sf_dir)
+    uses = _uses(spark, sf_dir, "line", "scanned_at")
     aggs = {"uses": ("count", "*"), "last_line": ("max", "line"), "first_scan": ("min", "scanned_at"), "last_scan": ("max", "scanned_at")}
     return tree_aggregate(uses, ["sym", "kind"], aggs)
 
@@ -30,7 +26,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with at least one fiftieth of all uses."""
     uses = _uses(spark, sf_dir)
     total = uses.count()
-    per_key = tree_aggregate(uses, ["sym", "kind"], {"uses": ("count", "*")}, rows=total)
+    per_key = tree_aggregate(uses, ["sym", "kind"], {"uses": ("count", "*")})
     return per_key.where((F.col("uses") * 50 >= total) & F.col("kind").isNotNull()).select("sym", "kind")
 
 
