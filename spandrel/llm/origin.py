@@ -40,7 +40,9 @@ HEAD_CHARS = 2_000
 
 LANGUAGES = ["swift", "js", "py", "c"]
 CODE = {"swift", "js", "py", "c", "h"}
-THIRD_PARTY = {"vendor", "third_party", "thirdparty", "third-party", "3rdparty", "3rd_party", "external", "externals", "deps", "dependencies", "submodules", "node_modules", "bower_components", "pods", "carthage", "checkouts", "site-packages"}
+THIRD_PARTY = {"vendor", "third_party", "thirdparty", "third-party", "3rdparty", "3rd_party", "deps", "submodules", "node_modules", "bower_components", "pods", "carthage", "checkouts", "site-packages"}
+#: Ordinary words that name such a folder only if it holds a folder per package.
+THIRD_PARTY_WORDS = {"external", "externals", "dependencies"}
 TOOL_DIRS = {"generated", "__generated__", "autogen", "gen", "derivedsources", "deriveddata", "dist"}
 _TOOL_NAME = re.compile(r"(?i)(?:\.(?:generated|g|gen|pb|pb-c|pb2|designer|bundle)\.\w+|_pb2?(?:_grpc)?\.\w+|[._]generated\.\w+|\+CoreData(?:Class|Properties)\.swift)$|^(?:moc|qrc)_\w+\.(?:c|cc|cpp|h)$|^ui_\w+\.h$")
 _MIN_NAME = re.compile(r"(?i)[.\-_]min\.(?:js|css)$")
@@ -65,7 +67,7 @@ _WORD = re.compile(r"\w+")
 def by_path(path: str) -> str | None:
     *folders, name = path.split("/")
     folders = [f.lower() for f in folders]
-    if any(f in THIRD_PARTY for f in folders):
+    if any(f in THIRD_PARTY for f in folders) or any(f in THIRD_PARTY_WORDS for f in folders[:-1]):
         return "third_party"
     if _TOOL_NAME.search(name) or any(f in TOOL_DIRS for f in folders):
         return "tool"

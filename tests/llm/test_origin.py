@@ -20,7 +20,7 @@ def test_declarations():
     }
     for (path, text), want in cases.items():
         assert origin.says_tool(text, origin.extension_of(path)) == want, text
-    paths = {"gen/A.pb.swift": "tool", "Pods/x/A.swift": "third_party", "Features/Vendors/A.swift": None, "a/b.min.js": "minified", "x_pb2.py": "tool", "": None}
+    paths = {"gen/A.pb.swift": "tool", "Pods/x/A.swift": "third_party", "Features/Vendors/A.swift": None, "a/b.min.js": "minified", "x_pb2.py": "tool", "": None, "Features/Dependencies/A.swift": None, "Dependencies/Kit/A.swift": "third_party"}
     for path, want in paths.items():
         assert origin.by_path(path) == want, path
 
