@@ -65,6 +65,16 @@ LISTED = 80
 WAVES = [("api-currency", 1), ("state-observation", 1), ("concurrency-safety", 1), ("navigation-toolbars", 2), ("layout-and-tables", 2), ("scenes-windows", 2), ("appearance-color", 3), ("animation-motion", 3), ("charts", 3), ("accessibility", 4), ("previews", 4)]
 #: Smells of an app that doesn't feel at home (rule, category, points a site).
 SMELLS = [("A5", "density", 2), ("A7", "pointer", 3), ("A3", "grid", 4), ("A6", "shell", 5), ("A4", "menus", 6)]
+#: Names that don't exist in the interface, and one that does, so that the report isn't empty.
+INVENTED = [".glassBackground(", ".liquidGlass(", "LiquidGlassView", "VStack("]
+#: Defects indexed per domain, in all and by severity.
+DEFECTS = [
+    ("accessibility", 12, 1, 8, 3), ("animation-motion", 11, 0, 6, 5), ("api-currency", 14, 2, 10, 2), ("appearance-color", 8, 1, 5, 2), ("appkit-interop", 10, 0, 9, 1), ("appkit-overuse", 7, 0, 4, 3),
+    ("async-data", 10, 0, 7, 3), ("availability-gating", 8, 4, 3, 1), ("charts", 11, 1, 6, 4), ("concurrency-safety", 11, 0, 6, 5), ("controls-forms", 8, 1, 3, 4), ("document-model", 12, 3, 7, 2),
+    ("drawing-canvas", 12, 1, 4, 7), ("layout-and-tables", 8, 1, 4, 3), ("liquid-glass", 18, 2, 10, 6), ("localization", 10, 0, 5, 5), ("macos-nativeness", 15, 0, 12, 3), ("menus-commands", 10, 1, 8, 1),
+    ("navigation-toolbars", 12, 3, 6, 3), ("pointer-gestures", 12, 2, 7, 3), ("previews", 9, 2, 4, 3), ("sandbox-files", 9, 1, 6, 2), ("scenes-windows", 13, 2, 7, 4), ("state-observation", 12, 0, 7, 5),
+    ("state-restoration", 11, 1, 8, 2), ("swiftdata", 12, 4, 6, 2), ("typography-text", 9, 1, 4, 4), ("view-performance", 12, 0, 5, 7),
+]
 ENTRY, CHROME = r"@main|:[[:space:]]*App([[:space:]]|\{)", r"Settings[[:space:]]*\{|MenuBarExtra|\.commands[[:space:]]*\{"
 BRIDGE, UPDATES = r":[[:space:]]*NSViewRepresentable|:[[:space:]]*View([[:space:]]|\{)", r"func[[:space:]]+updateNSView|var[[:space:]]+body"
 BEFORE, AFTER = r"@[A-Za-z]+", r"^[[:space:]]*(private )?(let|var|func)[[:space:]]"
@@ -208,10 +218,61 @@ def fix_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rule_id", "findings", lint.next_status(F.lit("open"), F.lit("fixed"), fix).alias("status"))
 
 
+def literal_rules(names: list[str]) -> list[tuple[str, str, str]]:
+    """Rules for names that don't exist: literal, case-sensitive, always hard."""
+    return [(n, "hard", "".join("\\" + x if not x.isalnum() else x for x in n)) for n in names]
+
+
+def invented_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name what doesn't exist."""
+    hits = lint.match_lines(_texts(spark, sf_dir), ["doc_id"], "text", literal_rules(INVENTED))
+    return hits.select("doc_id", "line", F.array(*map(F.lit, INVENTED))[F.col("rule")].alias("name"))
+
+
+def with_tiers(findings: DataFrame, structural: DataFrame | None) -> DataFrame:
+    """Findings of both tiers, or of the first alone where the second can't run; ``engine`` says which."""
+    if structural is None:
+        return findings.withColumn("tier", F.lit("grep1")).withColumn("engine", F.lit("tier 2 skipped"))
+    both = findings.withColumn("tier", F.lit("grep1")).unionByName(structural.withColumn("tier", F.lit("structural")), allowMissingColumns=True)
+    return both.withColumn("engine", F.lit("both tiers"))
+
+
+def defect_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known defects per domain with the findings here; domains without findings show 0."""
+    known = spark.createDataFrame(DEFECTS, "domain string, defects int, hard int, warn int, adv int")
+    found = _findings(spark, sf_dir).groupBy("domain").agg(F.count(F.lit(1)).alias("findings"))
+    return known.join(found, "domain", "left").select("domain", "defects", "hard", "warn", "adv", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+def floor_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols used in repositories that state an older floor than the symbol has: per repository and symbol the uses."""
+    from spandrel.functions.names import version_number
+
+    floors = base.examples(spark, sf_dir).where("min_macos is not null and repo is not null").groupBy("repo").agg(F.min(version_number("min_macos")).alias("floor"))
+    newer = F.broadcast(base.availability(spark, sf_dir).where("introduced is not null").select("sym", "introduced"))
+    uses = base.matched(spark, sf_dir).groupBy("repo", "sym").agg(F.count(F.lit(1)).alias("uses"))
+    return uses.join(newer, "sym").join(floors, "repo").where("introduced > floor").select("repo", "sym", "floor", "introduced", "uses")
+
+
+def gate_report(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+    """The gate's verdict and totals as one JSON document."""
+    by = [F.count_if(F.col("severity") == s).alias(s) for s in lint.SEVERITIES]
+    totals = _findings(spark, sf_dir).agg(*by, F.countDistinct("domain").alias("domains"))
+    verdict = lint.gate_verdict(F.col("hard"), F.lit(strict))
+    return totals.select(F.to_json(F.struct(F.lit(strict).alias("strict"), verdict.alias("gate"), F.struct(*lint.SEVERITIES).alias("totals"), "domains")).alias("report"))
+
+
+def chosen_repos(repos: DataFrame, only: list[str], limit: int | None = None) -> DataFrame:
+    """The named repositories (all if none is named) without regard to case, most stars first, at most ``limit``."""
+    rows = repos.where(F.lower("repo").isin([n.lower() for n in only])) if only else repos
+    rows = rows.orderBy(F.desc("stars"), "repo")
+    return rows if limit is None else rows.limit(limit)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        lint_tier1, lint_tally, lint_absence, lint_prev_line, lint_project, parse_balance, deprecated_token_count, audit_steering, gate_rollup, finding_dedup_seam,
+        invented_names, defect_index, floor_violations, gate_report, lint_tier1, lint_tally, lint_absence, lint_prev_line, lint_project, parse_balance, deprecated_token_count, audit_steering, gate_rollup, finding_dedup_seam,
         nativeness_score, severity_rollup, wave_order, master_findings, sarif_results, lint_report, fix_transitions,
     )
 }
@@ -230,6 +291,15 @@ _UI = r"u as (select * from t where regexp_matches(text, '(^|\n)[ \t\x0B\f\r\n]*
 _STEER = " union all ".join(f"select '{d}' as domain, '{m}' as mode, path, repo from u" + ("" if m == "always" else f" where regexp_matches(text, {_q('(?m)' + p)})") for d, m, p in SIGNALS)
 _BY = ", ".join(f"count(*) filter (severity = '{s}') as {s}" for s in lint.SEVERITIES)
 SQL = {
+    "invented_names": f"with {_L} " + " union all ".join(f"select doc_id, line, {_q(n)} as name from l where contains(raw, {_q(n)})" for n in INVENTED),
+    "defect_index": f"""{_FIND}, k as (select * from (values {", ".join(str(d) for d in DEFECTS)}) k(domain, defects, hard, warn, adv)), c as (select domain, count(*) as findings from f group by domain)
+        select k.*, coalesce(findings, 0) as findings from k left join c using (domain)""",
+    "floor_violations": f"""with {base.USES_SQL}, {base.AVAIL_SQL}, {base.EXAMPLES_SQL},
+        fl as (select repo, min({base.VERSION.format('min_macos')}) as floor from ex where min_macos is not null and repo is not null group by repo),
+        u as (select repo, sym, count(*) as uses from matched group by repo, sym)
+        select u.repo, u.sym, floor, introduced, uses from u join avail using (sym) join fl on fl.repo = u.repo where introduced > floor""",
+    "gate_report": f"""{_FIND}, c as (select {_BY}, count(distinct domain) as domains from f)
+        select to_json({{'strict': false, 'gate': case when hard > 0 then 'advisory' else 'pass' end, 'totals': {{'hard': hard, 'warn': warn, 'adv': adv}}, 'domains': domains}})::varchar as report from c""",
     "lint_tier1": f"{_FIND} select doc_id, line, rule_id, severity, domain, snippet from f",
     "lint_tally": f"{_FIND} select repo, {_BY}, count(*) as total, count(distinct rule_id) as rules_hit, (case when bool_or(severity = 'hard') then 2 else 0 end)::int as exit_class from f group by repo",
     "lint_absence": f"with {_T} select doc_id from t where regexp_matches(text, {_q(BRIDGE)}) and not regexp_matches(text, {_q(UPDATES)})",

@@ -90,3 +90,14 @@ def test_score_caps(spark):
     rows = [("r", "a", 6)] * 5 + [("r", "b", 3)]
     got = lint.capped_score(spark.createDataFrame(rows, "repo string, c string, p int"), ["repo"], "c", "p").first()
     assert (got.score, got.band) == (77, "mostly native")
+
+
+def test_rule_helpers(spark):
+    from spandrel.plans import rules
+
+    assert rules.literal_rules(["a.b("])[0][2] == r"a\.b\("
+    found = spark.createDataFrame([(1, "R1")], "doc_id int, rule_id string")
+    assert rules.with_tiers(found, None).first().engine == "tier 2 skipped"
+    assert {(r.tier, r.engine) for r in rules.with_tiers(found, found).collect()} == {("grep1", "both tiers"), ("structural", "both tiers")}
+    repos = spark.createDataFrame([("a/X", 1), ("b/y", 9), ("c/z", 5)], "repo string, stars int")
+    assert [r.repo for r in rules.chosen_repos(repos, [], 2).collect()] == ["b/y", "c/z"] and [r.repo for r in rules.chosen_repos(repos, ["A/x"]).collect()] == ["a/X"]
