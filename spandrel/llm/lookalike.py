@@ -115,22 +115,24 @@ def conflated(spark: SparkSession) -> dict[int, str]:
     """
     app = spark.sparkContext.applicationId
     if app not in _CONFLATED:
-        codes = [c for c in [*range(1, 0x32000), *range(0xE0000, 0xE01F0)] if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
-        one = spark.range(max(codes) + 1).select(F.col("id").cast("int").alias("c"))
-        known = spark.createDataFrame(pd.DataFrame({"c": codes, "s": ["a" + chr(c) + "b" for c in codes]}), "c int, s string")
-        groups = one.join(known, "c").groupBy(F.collate("s", "UNICODE")).agg(F.collect_list("c").alias("cs")).where("size(cs) > 1").select("cs").collect()
+
+        def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                codes = [c for c in pdf["id"] if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+                yield pd.DataFrame({"c": codes, "s": ["a" + (chr(c) if c else "") + "b" for c in codes]})
+
+        # 0 stands for no character: what is equal to nothing at all shows beside the pair without it.
+        known = spark.range(0, 0xE01F0, 1, 8).where("id < 204800 or id >= 917504").mapInPandas(texts, "c int, s string")
+        groups = known.groupBy(F.collate("s", "UNICODE")).agg(F.collect_list("c").alias("cs")).where("size(cs) > 1").select("cs").collect()
         # Characters that vanish from every form can't tell texts apart.
         gone = {ch for ch, form in char_maps()[0].items() if not form}
         risky: set[str] = set()
         for (cs,) in groups:
-            left = [chr(c) for c in cs if chr(c) not in gone]
+            left = [chr(c) if c else "" for c in cs if chr(c) not in gone]
             if len({unicodedata.normalize("NFC", x) for x in left}) > 1:
-                risky.update(left)
-        # One that is equal to nothing at all only shows beside the pair without it.
-        nothing = {r.c for r in known.where(F.collate("s", "UNICODE") == F.collate(F.lit("ab"), "UNICODE")).select("c").collect()}
-        risky.update(x for x in map(chr, nothing) if x not in gone)
+                risky.update(x for x in left if x)
         out = {}
-        for c in codes:
+        for c in [*range(1, 0x32000), *range(0xE0000, 0xE01F0)]:
             part = "".join(x for x in unicodedata.normalize("NFD", chr(c)) if x in risky)
             if part or chr(c) in risky:
                 out[c] = part or chr(c)
